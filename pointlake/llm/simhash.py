@@ -7,9 +7,9 @@ bits of some partition i. A dynamic program picks the thresholds (and the number
 least estimated cost. Fingerprints probe with the values of their partitions, and what meets there
 is verified on all bits.
 
-Only distinct fingerprints take part, so copies cost nothing. A probe value that two fingerprints
-share is verified at once. One that more share could make pairs with the square of its size, so its
-members are verified through common neighbours instead: two fingerprints differ in at most two bits
+Only distinct fingerprints take part, so copies cost nothing. The pairs at a probe value are verified
+where they meet if it has few fingerprints. A larger one could make pairs with the square of its
+size, so its members are verified through common neighbours instead: two fingerprints differ in at most two bits
 exactly if the sets of themselves and their 64 one-bit neighbours meet. That makes 65 rows a member,
 whatever the group's size, and is exact, so no group has a cap.
 """
@@ -30,6 +30,8 @@ from pointlake.operators.components import connected_components
 from pointlake.session import materialise
 
 BITS = 64
+#: Probe values that more fingerprints share are verified through common neighbours.
+SMALL = 64
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -172,11 +174,28 @@ def _probes(value: Column, plan: list[tuple[int, int]]) -> Column:
     return F.concat(*keys)
 
 
+def _verified(tau: int):
+    """Turns rows of at most ``SMALL`` fingerprints into links that join those within ``tau`` bits: in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for members in batch.column(0):
+                own = np.sort(np.array(members.as_py(), np.int64))
+                apart = np.bitwise_count((own[:, None] ^ own[None, :]).view(np.uint64))
+                i, j = np.nonzero(np.triu(apart <= tau, 1))
+                out += zip(own[i].tolist(), own[j].tolist(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["src", "dst"])
+
+    return run
+
+
 def links(nodes: DataFrame, tau: int = 2) -> DataFrame:
     """Links between distinct fingerprints that connect exactly those that at most ``tau`` (0 to 2) differing bits chain together.
 
-    ``nodes``: distinct ``fingerprint`` values. Returns src, dst. Not each close pair gets a row: a
-    large group gets a link of each member to the least member that shares a neighbour with it.
+    ``nodes``: distinct ``fingerprint`` values. Returns src, dst. Probe values of up to ``SMALL``
+    fingerprints are verified pair by pair, where they are; the members of larger ones meet through
+    shared neighbours, a link of each to the least member that shares one.
     """
     if not 0 <= tau <= 2:
         raise ValueError("tau must be 0, 1 or 2")
@@ -186,7 +205,10 @@ def links(nodes: DataFrame, tau: int = 2) -> DataFrame:
     met = materialise(met, "probes")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= tau
     pairs = met.where("n = 2").where(near("src", "dst")).select("src", "dst")
-    crowded = probes.join(met.where("n > 2").select("part", "key"), ["part", "key"], "left_semi").select("fingerprint").distinct()
+    small = probes.join(met.where(F.col("n").between(3, SMALL)).select("part", "key"), ["part", "key"])
+    small = small.groupBy("part", "key").agg(F.collect_list("fingerprint").alias("members"))  # at most SMALL each
+    some = small.select("members").mapInArrow(_verified(tau), "src long, dst long")
+    crowded = probes.join(met.where(F.col("n") > SMALL).select("part", "key"), ["part", "key"], "left_semi").select("fingerprint").distinct()
     radius = [0, *(1 << b for b in range(BITS))] if tau == 2 else [0]
     flips = F.array(*[F.lit(_signed(x)) for x in radius])
     ball = crowded.select("fingerprint", F.explode(flips).alias("flip")).select("fingerprint", F.col("fingerprint").bitwiseXOR(F.col("flip")).alias("key"))
@@ -196,7 +218,7 @@ def links(nodes: DataFrame, tau: int = 2) -> DataFrame:
         ball = masked.select("fingerprint", F.struct("bit", F.col("fingerprint").bitwiseOR(F.col("flip")).alias("rest")).alias("key"))
     least = ball.groupBy("key").agg(F.min("fingerprint").alias("src"), F.max("fingerprint").alias("top")).where("src < top").select("key", "src")
     shared = ball.join(least, "key").where("src < fingerprint").select("src", F.col("fingerprint").alias("dst"))
-    return pairs.union(shared).distinct()
+    return pairs.union(some).union(shared).distinct()
 
 
 def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 3) -> DataFrame:
