@@ -67,17 +67,24 @@ def cut_points(df: DataFrame, key: str, n: int) -> list:
 
 
 def range_index(key: Column, cuts: list) -> Column:
-    """The ordinal of the range that ``key`` is in: the number of cut points at or below it; null: 0."""
+    """The ordinal of the range that ``key`` is in: the number of cut points at or below it; null: 0.
+
+    A binary search whose steps are nested lambdas, so that each step names the position before it
+    once and the expression grows with the logarithm of the cut points.
+    """
     if not cuts:
         return F.lit(0)
     points = F.array(*[F.lit(c) for c in cuts])
-    # binary search without a loop: transform over the bits of the position
-    steps, top = [], 1
-    while top <= len(cuts):
-        steps.append(top)
-        top *= 2
+    step = 1
+    while 2 * step <= len(cuts):
+        step *= 2
     at = F.lit(0)
-    for step in reversed(steps):
-        probe = at + F.lit(step)
-        at = F.when((probe <= len(cuts)) & (F.get(points, probe - 1) <= key), probe).otherwise(at)
+    while step:
+        at = _forward(at, step, points, key)
+        step //= 2
     return F.when(key.isNull(), F.lit(0)).otherwise(at)
+
+
+def _forward(at: Column, step: int, points: Column, key: Column) -> Column:
+    """``at`` moved by ``step`` if the point before that place is at or below ``key``; past the end there is none (null)."""
+    return F.get(F.transform(F.array(at), lambda a: F.when(F.get(points, a + (step - 1)) <= key, a + step).otherwise(a)), F.lit(0))
