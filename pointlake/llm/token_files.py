@@ -80,7 +80,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     cuts = cut_points(rows, "doc_id", n)
     index = range_index(F.col("doc_id"), cuts)
-    dealt = deal(rows.withColumn("shard", index.cast("long")), index, n).sortWithinPartitions("doc_id", "text")
+    dealt = deal(rows.withColumn("shard", index.cast("long")), F.col("shard").cast("int"), n).sortWithinPartitions("doc_id", "text")
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
     found = dealt.select("doc_id", "text", "shard").mapInArrow(_writer(folder, tokenizer, width, end_id), _SHARD).collect()
