@@ -58,21 +58,22 @@ m AS (
          cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
          cast(len(lines) - len(list_distinct(lines)) AS bigint) AS n_dup_lines, cast(coalesce(cover.n, 0) AS bigint) AS n_repeat_words,
          len(lines) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals,
-         length(text) - length(replace(text, '!', '')) AS n_shouts, len(list_filter(words, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words
+         length(text) - length(replace(text, '!', '')) AS n_shouts, len(list_filter(words, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
+         len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS n_stutters
   FROM w LEFT JOIN cover USING (doc_id)
 ), b AS (
-  SELECT *, cast((n_words < 20)::int + 2 * (100 * n_repeat_words > 30 * n_words)::int + 4 * (10 * n_symbols > 3 * n_words)::int + 8 * (10 * n_dup_lines > 3 * n_lines)::int
+  SELECT *, cast((n_words < 20)::int + 2 * (100 * n_repeat_words > 30 * n_words)::int + 4 * (10 * n_symbols > 3 * n_words)::int + 8 * (n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines)::int
     + 16 * (word_chars < 2 * n_words)::int + 32 * (word_chars > 20 * n_words)::int + 64 * (10 * n_capitals > 4 * word_chars)::int
-    + 128 * (10 * n_shouts > 3 * n_words)::int + 256 * (10 * n_letter_words < 6 * n_words)::int + 512 * (n_words > 1000000)::int AS bigint) AS fail_bits FROM m
+    + 128 * (10 * n_shouts > 3 * n_words)::int + 256 * (10 * n_letter_words < 6 * n_words)::int + 512 * (n_words > 1000000)::int + 1024 * (10 * n_stutters > 3 * n_words)::int AS bigint) AS fail_bits FROM m
 )
 """
-LEDGER_SQL = QUALITY_SQL + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 511 = 0 AS kept, fail_bits FROM b"
+LEDGER_SQL = QUALITY_SQL + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 1535 = 0 AS kept, fail_bits FROM b"
 
-_RULES = "(VALUES (0, 'few_words'), (1, 'repeated_windows'), (2, 'symbols'), (3, 'duplicate_lines'), (4, 'short_words'), (5, 'long_words'), (6, 'capitals'), (7, 'shouting'), (8, 'no_letters')) AS r(rule, name)"
+_RULES = "(VALUES (0, 'few_words'), (1, 'repeated_windows'), (2, 'symbols'), (3, 'duplicate_lines'), (4, 'short_words'), (5, 'long_words'), (6, 'capitals'), (7, 'shouting'), (8, 'no_letters'), (10, 'stutter')) AS r(rule, name)"
 ABLATION_SQL = (
     QUALITY_SQL
-    + f"SELECT rule, name, count(*) FILTER (WHERE fail_bits & (1 << rule) <> 0) AS failed, count(*) FILTER (WHERE fail_bits & 511 = (1 << rule)) AS failed_alone, "
-    f"count(*) FILTER (WHERE fail_bits & 511 = 0 OR fail_bits & 511 = (1 << rule)) AS kept_without FROM b, {_RULES} GROUP BY rule, name"
+    + f"SELECT rule, name, count(*) FILTER (WHERE fail_bits & (1 << rule) <> 0) AS failed, count(*) FILTER (WHERE fail_bits & 1535 = (1 << rule)) AS failed_alone, "
+    f"count(*) FILTER (WHERE fail_bits & 1535 = 0 OR fail_bits & 1535 = (1 << rule)) AS kept_without FROM b, {_RULES} GROUP BY rule, name"
 )
 
 ORACLE_SQL: dict[str, str] = {

@@ -20,13 +20,14 @@ RULES: dict[int, tuple[str, str]] = {
     0: ("few_words", "n_words < 20"),
     1: ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     2: ("symbols", "10 * n_symbols > 3 * n_words"),
-    3: ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    3: ("duplicate_lines", "n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines"),
     4: ("short_words", "word_chars < 2 * n_words"),
     5: ("long_words", "word_chars > 20 * n_words"),
     6: ("capitals", "10 * n_capitals > 4 * word_chars"),
     7: ("shouting", "10 * n_shouts > 3 * n_words"),
     8: ("no_letters", "10 * n_letter_words < 6 * n_words"),
     9: ("very_long", "n_words > 1000000"),
+    10: ("stutter", "10 * n_stutters > 3 * n_words"),
 }
 
 
@@ -44,7 +45,7 @@ class Policy:
 #: Versions stay as they were published.
 POLICIES = {
     ("base", 1): Policy("base", 1, (0, 1)),
-    ("web", 1): Policy("web", 1, (0, 1, 2, 3, 4, 5, 6, 7, 8)),
+    ("web", 1): Policy("web", 1, (0, 1, 2, 3, 4, 5, 6, 7, 8, 10)),
 }
 
 
@@ -102,6 +103,7 @@ def measure(docs: DataFrame) -> DataFrame:
         without("[A-Z]+").cast("long").alias("n_capitals"),
         without("!+").cast("long").alias("n_shouts"),
         F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
+        F.size(F.filter(_pairs(F.col("words"), 1, lambda a, b: a == b), lambda same: same)).cast("long").alias("n_stutters"),
     )
 
 
