@@ -19,6 +19,7 @@ slot) and gets back one bit a hash. No window or document list is ever gathered.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,7 @@ class _Block:
     """The words of some documents in one array."""
 
     def __init__(self, docs: list[int | None], texts: list[str | None]):
-        self.docs = docs
+        self.docs, self.texts = docs, texts
         self.words = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in self.words], np.int64)
         self.start = np.concatenate([[0], np.cumsum(sizes)])
@@ -123,7 +124,7 @@ class _Slot:
     def __init__(self, table: pa.Table, lengths: list[int], words_at_once: int = 400_000):
         self.lengths = lengths
         docs, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        order = sorted(range(len(docs)), key=lambda i: (docs[i] is not None, docs[i] or 0))
+        self.order = order = sorted(range(len(docs)), key=lambda i: (docs[i] is not None, docs[i] or 0))
         self.blocks: list[_Block] = []
         held, size = [], 0
         for i in order:
@@ -208,14 +209,15 @@ def _wide(raw: bytes) -> np.ndarray:
     return np.concatenate([five, np.zeros((len(five), 3), np.uint8)], 1).reshape(-1).view("<u8")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 13, base: int = BASE) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 13, base: int = BASE, carry: Sequence[str] = ()) -> DataFrame:
     """Removes each word that a window covers whose ``min_words`` words also start in a document with a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_sha256, kept (the kept words joined by one space).
     Windows are judged on the input. Words are compared as they are; windows do not cross documents.
     Null and empty texts have no words. Repeats within one document stay. A null id counts as
     smaller than all others; rows of one id are one document to each other: none removes the other's
-    words. Other columns are not read; an empty table gives no rows.
+    words. An empty table gives no rows. Of other columns only those in ``carry`` are read; they come
+    back in a struct ``rest``, and then ``kept`` is the text as it was where nothing is removed.
 
     The first level compares 39 bits of each hash within a bucket and may only let too much pass; the
     last compares 64 bits and the bucket.
@@ -223,8 +225,10 @@ def remove_repeats(docs: DataFrame, min_words: int = 13, base: int = BASE) -> Da
     spark = docs.sparkSession
     n, lengths = shuffle_partitions(spark), levels(min_words, base)
     buckets, last = slot_keys(n), len(levels(min_words, base)) - 1
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = deal(rows, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"), n).select("slot", "doc_id", "text")
+    rest = F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rest.alias("rest"))
+    rest_type = rows.schema["rest"].dataType.simpleString()
+    dealt = deal(rows, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"), n).select("slot", "doc_id", "text", "rest")
 
     def packed(slot_id: int, slot: _Slot, level: int, got: dict) -> pa.Table:
         keys, least, most = slot.distinct(level, got)
@@ -305,11 +309,13 @@ def remove_repeats(docs: DataFrame, min_words: int = 13, base: int = BASE) -> Da
                 gone = np.cumsum(change[:-1]) > 0
                 for i, words in enumerate(b.words):
                     lost = gone[b.start[i] : b.start[i + 1]]
-                    kept = b" ".join(words if not lost.any() else [w for w, x in zip(words, lost.tolist(), strict=True) if not x])
-                    for column, value in zip(out, (b.docs[i], len(words), int(lost.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")), strict=True):
+                    same = not lost.any()
+                    kept = b" ".join(words if same else [w for w, x in zip(words, lost.tolist(), strict=True) if not x])
+                    for column, value in zip(out, (b.docs[i], len(words), int(lost.sum()), hashlib.sha256(kept).hexdigest(), b.texts[i] if same and carry else kept.decode("utf-8", "surrogatepass")), strict=True):
                         column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        columns = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)]
+        return pa.Table.from_arrays([*columns, left.column("rest").take(pa.array(slot.order, pa.int64()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "rest"])
 
     grouped = dealt.groupBy("slot")
     sent = grouped.applyInArrow(lambda t: first_level(t), _SENT)
@@ -319,4 +325,5 @@ def remove_repeats(docs: DataFrame, min_words: int = 13, base: int = BASE) -> Da
         known = reply if known is None else known.union(reply)
         if level < last:
             sent = grouped.cogroup(known.groupBy("slot")).applyInArrow(next_level(level + 1), _SENT)
-    return grouped.cogroup(known.groupBy("slot")).applyInArrow(lambda left, right: finish(left, right), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = grouped.cogroup(known.groupBy("slot")).applyInArrow(lambda left, right: finish(left, right), f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, rest {rest_type}")
+    return out if carry else out.drop("rest")
