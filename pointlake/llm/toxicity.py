@@ -3,7 +3,8 @@
 A clause is read as a string of word classes: insult, threat, target (a person or group spoken of or
 to), negation, reported speech, other. Three small machines (is a target named, is a negation in
 force, is the clause reported) are composed into one, and insults and threats that it reads are
-emitted with the state it is in. A clause scores the lexical weight of what it emits on an arc that
+emitted with the state it is in. Reported speech goes on over quotes, colons and commas to the end of
+the sentence. A clause scores the lexical weight of what it emits on an arc that
 depends on that state, so a word alone has no score and a negated or quoted one has its own.
 
 Lexical weights and arc weights are learned from labelled rows. Words of the insult class are found
@@ -43,6 +44,8 @@ REPORTS = "said says say told wrote writes called quoted quote reported claimed
 _WORD, _CLAUSE = re.compile(r"[^\W_]+(?:'[^\W_]+)?"), re.compile(r"[.!?;:,\n|()\"]+")
 I, H, T, N, R, W = "insult", "threat", "target", "negation", "report", "other"
 CLASSES = (I, H, T, N, R, W)
+#: Cuts of these characters alone end a clause but not its sentence.
+WITHIN = frozenset('",:')
 SCOPE = 4  # words that a negation reaches
 
 
@@ -65,6 +68,8 @@ TARGETED = Machine(2, lambda s, c: 1 if c == T else s)
 NEGATED = Machine(SCOPE + 1, lambda s, c: SCOPE if c == N else max(s - 1, 0))
 REPORTED = Machine(2, lambda s, c: 1 if c == R else s)
 STEP, STATES = compose(TARGETED, NEGATED, REPORTED)
+#: The start of a clause in a sentence that has no report so far, and in one that has.
+START = (STATES.index((0, 0, 0)), STATES.index((0, 0, 1)))
 #: Arcs: what is emitted, whether negated, reported, and whether the clause names a target.
 ARCS = [(k, n, r, t) for k in (I, H) for n in (False, True) for r in (False, True) for t in (False, True)]
 _ARC = {a: i for i, a in enumerate(ARCS)}
@@ -125,6 +130,7 @@ class _Reader:
         if not hits:
             return out
         begin, done = 0, 0
+        seen, reported = 0, False  # up to where this sentence was searched for a report
         starts = sorted(hits)
         while done < len(starts):
             cut = _CLAUSE.search(text, begin)
@@ -133,26 +139,37 @@ class _Reader:
                 n = done
                 while n < len(starts) and starts[n] < end:
                     n += 1
-                self._clause(text, begin, end, hits, out)
+                reported = reported or self._reports(text, seen, begin, hits)
+                reported = self._clause(text, begin, end, hits, out, reported)
+                seen = end
                 done = n if cut else len(starts)
             begin = cut.end() if cut else end
+            if cut and not WITHIN.issuperset(cut[0]):
+                seen, reported = begin, False
         return np.minimum(out, 16.0)
 
-    def _clause(self, text: str, begin: int, end: int, hits: dict, out: np.ndarray) -> None:
-        state, emitted = 0, []
+    def _reports(self, text: str, begin: int, end: int, hits: dict) -> bool:
+        return any(self.classes.get(m[0]) == R and m.start() not in hits for m in _WORD.finditer(text, begin, end))
+
+    def _clause(self, text: str, begin: int, end: int, hits: dict, out: np.ndarray, told: bool) -> bool:
+        """Adds what the clause emits to ``out``; whether its sentence has a report by its end."""
+        state, emitted = START[told], []
         for m in _WORD.finditer(text, begin, end):
-            hit = hits.get(m.start())
-            kind = hit[0] if hit else self.classes.get(m[0], W)
-            if hit:
+            at = m[0].find("'") + 1  # the part after an elision is a word as well
+            found = [hits[i] for i in ((m.start(), m.start() + at) if at else (m.start(),)) if i in hits]
+            for kind, weight in found:
                 _, negated, reported = STATES[state]
-                emitted.append((kind, negated > 0, reported > 0, hit[1]))
-            state = STEP[state, kind]
+                emitted.append((kind, negated > 0, reported > 0, weight))
+                state = STEP[state, kind]
+            if not found:
+                state = STEP[state, self.classes.get(m[0], W)]
         targeted = STATES[state][0] > 0
         room = 8.0
         for kind, negated, reported, weight in emitted:
             weight = min(weight, room)
             out[_ARC[kind, negated, reported, targeted]] += weight
             room -= weight
+        return STATES[state][2] > 0
 
 
 @lru_cache(maxsize=4)
