@@ -32,6 +32,30 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def check(spark: SparkSession, root: str, name: str) -> int:
+    """Prints what a sequence fails, 1 if anything: files first, and contents only where all files have whole sizes."""
+    there = dict(quality.structure_checks(spark, root, name))
+    bad = quality.file_checks(scans.scan_info(spark, root, name)).collect()
+    if bad:
+        for r in bad:
+            print(f"frame {r['frame_id']}: {r['failed']}")
+        print("contents not checked", file=sys.stderr)
+        return 1
+    if there["labels"]:
+        points = scans.read_labelled(spark, root, name)
+    else:
+        points = scans.read_scans(spark, root, name).withColumns({c: F.lit(None).cast("int") for c in ("semantic_id", "instance_id")})
+    labelled = points.where("semantic_id IS NOT NULL")
+    problems = [f"frame {r['frame_id']}: {r['failed']}" for r in quality.frame_checks(points).orderBy("frame_id").collect()]
+    problems += [f"label {r['semantic_id']}: unknown, {r['n']} points" for r in quality.invalid_labels(labelled).orderBy("semantic_id").collect()]
+    found = quality.instance_continuity(labelled).first()
+    if not found["passed"]:
+        problems.append(f"instance continuity {found['rate']:.3f}: {found['shared']} of {found['total']}")
+    for p in problems:
+        print(p)
+    return int(bool(problems))
+
+
 def main(args: list[str] | None = None) -> int:
     given = parser().parse_args(args)
     config = configs.load(path=given.config) if given.config else {}
@@ -41,11 +65,7 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("pointlake").getOrCreate()
     name = scans.sequence_name(given.sequence)
     if given.verb == "check":
-        quality.structure_checks(spark, given.root, name)
-        bad = quality.file_checks(scans.scan_info(spark, given.root, name)).collect()
-        for r in bad:
-            print(f"frame {r['frame_id']}: {r['failed']}")
-        return int(bool(bad))
+        return check(spark, given.root, name)
     start, end = 0, None
     if given.frames:
         total = scans.scan_info(spark, given.root, name).agg(F.max("frame_id")).first()[0]
