@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointlake.llm.memory import freeing
 from pointlake.llm.text import words_of
 from pointlake.operators.components import connected_components
 from pointlake.session import materialise
@@ -45,16 +46,21 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i : i + n] for i in range(shingle)), strict=True))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), "<u8", n)
+    return int(majority(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), "<u8", n)))
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for lo in range(0, n, 4096):
-        ones += np.unpackbits(hashes[lo : lo + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    for lo in range(0, len(hashes), 4096):
+        ones += np.unpackbits(np.ascontiguousarray(hashes[lo : lo + 4096]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (the 64 bits as a signed long) of every row, where the rows are."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)

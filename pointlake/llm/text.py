@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Java regular expressions.
@@ -22,3 +24,17 @@ def words_column(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """The number of words as a long; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """``name`` with as many underscores before it as no column of ``columns`` has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def named(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
