@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointlake.llm.memory import freeing
 from pointlake.llm.tokens import encoder
 from pointlake.operators.partitioning import deal
 from pointlake.session import materialise
@@ -67,6 +68,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     Null and empty texts hold the end id alone. Runs where the rows are, without a shuffle.
     """
 
+    @freeing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         end = np.array([end_id], "<u4").tobytes()

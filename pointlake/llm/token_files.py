@@ -2,7 +2,7 @@
 
 Format of a folder. Shard ``k`` covers a range of the document order; shards are in that order:
 
-* ``k.ids``      little-endian unsigned ids, 2 bytes each if the vocabulary has at most 65,536 ids, else 4
+* ``k.ids``      little-endian unsigned ids, 2 bytes each if the tokenizer's ids, added ones too, are below 65,536, else 4
 * ``k.offsets``  n + 1 little-endian unsigned 64-bit numbers: where each document's ids begin in this shard
 * ``k.docs``     n little-endian signed 64-bit document ids (null: the least value)
 * ``manifest.json``  id width and, for each shard, documents, tokens and its base: the ids of all shards before it
@@ -23,6 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointlake.llm.memory import freeing
 from pointlake.llm.tokens import encoder
 from pointlake.operators.partitioning import cut_points, deal, range_index
 from pointlake.session import scratch_path, shuffle_partitions
@@ -37,6 +38,7 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _writer(folder: str, tokenizer: str, width: int, end_id: int):
+    @freeing
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
         encode = encoder(tokenizer).encode
@@ -48,9 +50,11 @@ def _writer(folder: str, tokenizer: str, width: int, end_id: int):
             for doc, text, own in zip(keys.to_pylist(), texts, shards.to_pylist(), strict=True):
                 if shard is None:
                     shard, ids_out = own, store.open_output_stream(f"{base}/{name}.ids")
-                ids = encode(text.as_py()) + end
-                ids_out.write(ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
-                sizes.append(len(ids) // 4)
+                ids = np.frombuffer(encode(text.as_py()) + end, "<u4")
+                if width == 2 and ids.max() >> 16:
+                    raise ValueError(f"document {doc}: id {ids.max()} does not fit {width} bytes")
+                ids_out.write(ids.astype(f"<u{width}").tobytes())
+                sizes.append(len(ids))
                 docs.append(NULL_ID if doc is None else doc)
         if shard is None:
             return
@@ -64,7 +68,7 @@ def _writer(folder: str, tokenizer: str, width: int, end_id: int):
     return write
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, vocabulary: int = 50_257) -> list[dict]:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> list[dict]:
     """Encodes whole ``text`` values and writes the files above to ``folder``, ordered by ``doc_id``.
 
     Null texts count as empty and hold the end id alone. Null ids come first; rows of one id are
@@ -76,7 +80,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     one row a shard. Returns the manifest's shards.
     """
     spark = docs.sparkSession
-    n, width = shuffle_partitions(spark), 2 if vocabulary <= 1 << 16 else 4
+    n, width = shuffle_partitions(spark), 2 if max(encoder(tokenizer).size, end_id + 1) <= 1 << 16 else 4
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     cuts = cut_points(rows, "doc_id", n)
     index = range_index(F.col("doc_id"), cuts)

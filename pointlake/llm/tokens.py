@@ -5,7 +5,8 @@ from a non-space character to a space, tab or line break. So the ids of a text a
 pieces, and pieces recur. Two bounded caches hold the ids of pieces (a run of spaces with the word
 after it) and of pre-tokens; what they miss goes to the library's BPE model, and every piece with
 characters outside printable ASCII and Latin-1 letters, or with other white space, goes to the
-library's whole encoder. ``tests/llm`` compares the result with whole-text encoding.
+library's whole encoder; so does every text that holds the string of an added token, such as an end
+mark. ``tests/llm`` compares the result with whole-text encoding.
 """
 
 from __future__ import annotations
@@ -34,18 +35,19 @@ def _is_latin(text: str) -> bool:
 
 
 class _Cache(dict):
-    """key -> make(key), of two generations: when the young one is full it becomes the old one."""
+    """key -> make(key), of two generations: when the young one holds ``limit`` bytes it becomes the old one."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.held, self.old = make, limit, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        self.held += 200 + len(key) + len(value)  # two objects and a place in the table
+        if self.held >= self.limit:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = value
         return value
@@ -59,11 +61,18 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. ``lower``: the tokenizer lower-cases and drops white space."""
+    """Encodes texts to little-endian unsigned 32-bit ids, as the library does with add_special_tokens=False.
 
-    def __init__(self, path: str, pieces: int = 400_000, parts: int = 450_000):
+    ``pieces`` and ``parts`` bound the bytes of a generation of each cache. ``lower``: the tokenizer lower-cases and drops white space.
+    """
+
+    def __init__(self, path: str, pieces: int = 50_000_000, parts: int = 30_000_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: One more than the greatest id.
+        self.size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        # texts that hold an added token's string, in any case, go to the whole encoder
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE).search
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         # The pre-token patterns of the two vocabularies, over printable ASCII and Latin-1 letters.
@@ -105,7 +114,7 @@ class Encoder:
         """The ids of a whole text; null: none."""
         if not text:
             return b""
-        if _OTHER_SPACE.search(text):
+        if _OTHER_SPACE.search(text) or self.added(text):
             return self._whole(text)
         if "  " in text or "\n " in text or "\t" in text or "\r" in text or text[-1] == " ":
             return b"".join(map(self._encode_piece, _PIECE.findall(text)))
