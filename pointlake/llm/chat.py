@@ -8,13 +8,32 @@ from pyspark.sql import functions as F
 SYSTEM, UNNAMED = "system", "unknown"
 
 
+#: Characters that a name in a head may not hold as they are.
+_NAME = {"%": "%25", "|": "%7C", "<": "%3C", ">": "%3E", "\n": "%0A", "\r": "%0D"}
+
+
+def safe_name(name: Column) -> Column:
+    """A name with the characters that would end or forge a head as percent codes."""
+    for c, code in _NAME.items():
+        name = F.replace(name, F.lit(c), F.lit(code))
+    return name
+
+
+def safe_content(content: Column) -> Column:
+    """A content without markers: "<" and pipes after it get one more pipe, so that "<|" followed by no pipe is a marker's alone. Undone by taking one away."""
+    return F.regexp_replace(content, r"<(\|+)", "<$1|")
+
+
+def head(role: Column, name: Column) -> Column:
+    return F.concat(F.lit("<|"), role, F.coalesce(F.concat(F.lit(":"), safe_name(name)), F.lit("")), F.lit("|>\n"))
+
+
 def rendered(role: Column, name: Column, content: Column) -> Column:
-    """One message as text: role and name on a line, then the content."""
-    head = F.concat(F.lit("<|"), role, F.coalesce(F.concat(F.lit(":"), name), F.lit("")), F.lit("|>\n"))
-    return F.concat(head, content, F.lit("<|end|>\n"))
+    """One message as text: role and name on a line, then the content, none of which can forge a turn."""
+    return F.concat(head(role, name), safe_content(content), F.lit("<|end|>\n"))
 
 
-def perspectives(turns: DataFrame) -> DataFrame:
+def perspectives(turns: DataFrame, spans: bool = False) -> DataFrame:
     """For every participant of each conversation, all its turns with that participant as assistant.
 
     ``turns``: conv_id, turn, role (who speaks), text. Returns conv_id, perspective, turn, speaker,
@@ -23,6 +42,9 @@ def perspectives(turns: DataFrame) -> DataFrame:
     system turns with mask 0. Sorted by turn, the messages of one (conv_id, perspective) are the
     rendered dialogue.
 
+    ``spans`` adds span_start and span_end: where in ``message``, in code points, the content that is
+    learned lies; null where mask is 0.
+
     A null role is a participant named "unknown"; a null text is empty; a null conv_id is a
     conversation of its own. Repeated and tied turns are kept as they are. A conversation of system
     turns alone has no participant and gives no rows. Other columns are not read.
@@ -39,7 +61,10 @@ def perspectives(turns: DataFrame) -> DataFrame:
     role = F.when(own, F.lit("assistant")).when(system, F.lit(SYSTEM)).otherwise(F.lit("user"))
     name = F.when(~own & ~system, F.col("speaker"))
     each = each.select("conv_id", "perspective", "turn", "speaker", role.alias("role"), name.alias("name"), "content", own.cast("int").alias("mask"))
-    return each.select("conv_id", "perspective", "turn", "speaker", "role", "name", rendered(F.col("role"), F.col("name"), F.col("content")).alias("message"), "mask")
+    begin = F.when(F.col("mask") == 1, F.length(head(F.col("role"), F.col("name"))))
+    end = begin + F.length(safe_content(F.col("content")))
+    more = [begin.alias("span_start"), end.alias("span_end")] if spans else []
+    return each.select("conv_id", "perspective", "turn", "speaker", "role", "name", rendered(F.col("role"), F.col("name"), F.col("content")).alias("message"), "mask", *more)
 
 
 PERSPECTIVES_SQL = """
