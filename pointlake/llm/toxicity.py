@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointlake.llm.memory import freeing
 from pointlake.llm.text import words_of
 from pointlake.session import materialise
 
@@ -251,6 +252,7 @@ def _fit_arcs(x: np.ndarray, y: np.ndarray, ridge: float = 3.0) -> tuple[np.ndar
 def _sketched(rows: DataFrame) -> DataFrame:
     """Adds ``sketch``, the least hash of the five-word shingles of a text (fewer words: of all of them)."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = []
@@ -290,13 +292,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     if not toxic or not clean:
         return Grammar(_seeds())
 
+    @freeing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         flush = lambda: pa.RecordBatch.from_pydict({"term": (terms := list(counts[0].keys() | counts[1].keys())), "a": pa.array([counts[1][t] for t in terms], pa.int64()), "b": pa.array([counts[0][t] for t in terms], pa.int64())})
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 counts[bool(label)].update(_term_features(text.as_py()))
-            if len(counts[0]) > 400_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield flush()
                 counts[0].clear(), counts[1].clear()
         yield flush()
@@ -305,6 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     ranked = terms.orderBy(F.desc(F.expr("(a + 0.5) / (b + 0.5) * sqrt(a)")), "term").limit(16 * LEXICON).collect()
     grammar = Grammar(_seeds() | _induce([tuple(r) for r in ranked], toxic, clean))
 
+    @freeing
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = grammar.compiled()
         for batch in batches:
@@ -325,6 +329,7 @@ def score_documents(docs: DataFrame, grammar: Grammar, threshold: float = THRESH
     rows each get a row; other columns are not read.
     """
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = grammar.compiled()
         for batch in batches:
@@ -341,6 +346,7 @@ def keep_clean(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD)
     names = docs.columns
     at = names.index("text")
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = grammar.compiled()
         for batch in batches:
