@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small documents with nulls, empties, repeats, ties and very long texts."""
 
 import hashlib
+import json
 import os
 import random
 import re
@@ -72,11 +73,30 @@ def words(text):
 
 
 def encoded(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path)  # as it is: an end mark's string in a text is the end mark's id
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for x in TEXTS]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoding_of_random_strings_is_the_librarys(path):
+    """Strings over characters at which pre-tokens and added tokens meet, with the added tokens' strings in them."""
+    rng, whole, e = random.Random(5), Tokenizer.from_file(path), Encoder(path)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "endoftext", " ", "  ", "\n", "\t", "'s", "'", "a", "Word", "été", "42", "!", "\u00a0", "中", "e\u0301"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert e.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_id_width_follows_the_tokenizer(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    folder = f"file://{tmp_path}/t"
+    token_files.write_token_files(docs, folder, BYTE)
+    assert json.loads((tmp_path / "t" / "manifest.json").read_text())["width"] == 2
+    token_files.write_token_files(docs, folder, BYTE, end_id=70_000)
+    assert json.loads((tmp_path / "t" / "manifest.json").read_text())["width"] == 4
+    assert token_files.read_token_files(spark, folder).first().n_tokens == 5
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_cached_encoding_is_whole_text_encoding(path):
     e = Encoder(path, pieces=50, parts=50)  # small caches turn over
@@ -121,11 +141,42 @@ def test_fingerprint_of_a_single_document_follows_itself(spark):
 
 
 def test_sketches_grow_until_they_decode():
+    """Digests come back whole from the fingerprints' texts alone, whatever the sizes."""
     rng = np.random.default_rng(0)
-    a = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 3, 500, 4000)]
+    a = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 3, 500, 4000, *range(1, 40))]
     b = [np.concatenate([x[: len(x) // 2], rng.integers(0, 1 << 63, 7).astype(np.uint64)]) for x in a]
-    before, after, tries = fingerprints.differences(a, b)
-    assert before.tolist() == [len(x) - len(x) // 2 for x in a] and after.tolist() == [7] * 4 and tries[-1] > 1
+    first, second = (fingerprints.Sketches.parse([s.text(i) for i in range(len(a))]) for s in (fingerprints.fingerprints(a)[0], fingerprints.fingerprints(b)[0]))
+    lost, gained, tries = fingerprints.differences(first, second)
+    assert [sorted(x.tolist()) for x in lost] == [sorted(x[len(x) // 2 :].tolist()) for x in a]
+    assert [sorted(x.tolist()) for x in gained] == [sorted(x[len(y) // 2 :].tolist()) for x, y in zip(b, a, strict=True)]
+    assert tries[3] > 1 and first.peel()[2].all()
+
+
+def test_sketch_cells_are_sums_over_their_digests():
+    """Each digest is in one cell of each third; folding equals building at the smaller size."""
+    keys = np.array([3, 1 << 40, (1 << 64) - 5], np.uint64)
+    s = fingerprints.Sketches(np.array([48]))
+    s.add(np.zeros(3, np.int64), keys, 1)
+    cells = [[], [], []]
+    for j, at in enumerate(s.places(np.zeros(3, np.int64), keys)):
+        cells[j] = at.tolist()
+        assert all(16 * j <= x < 16 * (j + 1) for x in at.tolist())
+    for c in range(48):
+        own = [int(k) for j in range(3) for k, x in zip(keys, cells[j], strict=True) if x == c]
+        xor = 0
+        for k in own:
+            xor ^= k
+        assert (s.count[c], int(s.key[c])) == (len(own), xor)
+    small = fingerprints.Sketches(np.array([12]))
+    small.add(np.zeros(3, np.int64), keys, 1)
+    folded = s.folded(np.array([12]))
+    assert all((getattr(folded, c) == getattr(small, c)).all() for c in ("count", "key", "check"))
+
+
+def test_an_insertion_changes_the_paragraphs_around_it_alone():
+    words = invented(77, 400).replace(".", "").replace("!", "").replace("?", "").replace("\n", " ").split()
+    before, after = (set(fingerprints.paragraphs(" ".join(w))) for w in (words, [*words[:200], "inserted", *words[200:]]))
+    assert len(before ^ after) <= 6 < len(before)
 
 
 def brute_removal(rows, size):
@@ -166,14 +217,23 @@ def test_substring_levels_double():
     assert substring.levels(13) == [7, 13] and substring.levels(50) == [7, 13, 25, 50] and substring.levels(5) == [5]
 
 
-def test_warc_round_trip_and_audit(spark, tmp_path):
-    pages = [(i, f"http://x/{i}", f"<p>{invented(i, 30)}</p>") for i in range(200)] + [(None, None, None), (7, "http://x/7", "<p></p>"), (7, "http://x/7", "<p></p>")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+def merkle_root(leaves, height):
+    """The root over leaves as digests, 16 at a time, by the plainest means; all trees of an archive have one height."""
+    for _ in range(height):
+        leaves = [hashlib.sha256("".join(x.hex() for x in leaves[i : i + 16]).encode()).digest() for i in range(0, len(leaves), 16)]
+    return leaves[0]
+
+
+@pytest.mark.parametrize("roll", [128_000_000, 4_000])
+def test_warc_round_trip_and_audit(spark, tmp_path, roll):
+    pages = [(i, f"http://x/{i}", f"<p>{invented(i, 30)}</p>") for i in range(200)] + [(None, None, None), (7, "http://x/7", "<p></p>"), (7, "http://x/7", "<p></p>"), (9, None, "long " * 200_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
     folder = f"file://{tmp_path}/w"
-    index = warc.write_warc(df, folder, ("a", "b"))
+    index = warc.write_warc(df, folder, ("a", "b"), roll=roll)
     back = sorted(((r.page_id, r.url, r.html) for r in warc.read_warc(index, folder).collect()), key=str)
     assert back == sorted(((p, u, h or "") for p, u, h in pages), key=str)
     listed = sorted(index.collect(), key=lambda r: (r.shard, r.record))
+    assert (len({r.file for r in listed}) > 2) == (roll < 10_000)
     hit = [listed[3], listed[60], listed[-1]]
     for r in hit:
         with open(f"{tmp_path}/w/b/{r.file}", "r+b") as f:
@@ -181,13 +241,37 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
             x = f.read(1)
             f.seek(-1, os.SEEK_CUR)
             f.write(bytes([x[0] ^ 1]))
-    found = warc.audit(warc.tree(index, folder, "a"), warc.tree(index, folder, "b")).collect()
+    left, right = warc.tree(index, folder, "a"), warc.tree(index, folder, "b")
+    found = warc.audit(left, right).collect()
     assert sorted((r.shard, r.record) for r in found) == sorted((r.shard, r.record) for r in hit)
-    whole = warc.audited_pages(df)
-    assert whole.count() == len(pages) and whole.where("NOT intact").count() == 0
+    roots = {(r.shard, r.node): bytes(r.digest) for r in left[-1].collect()}
+    for shard in {r.shard for r in listed}:
+        own = [r for r in listed if r.shard == shard]
+        raw = (tmp_path / "w" / "a" / own[0].file).read_bytes()
+        assert roots[shard, 0] == merkle_root([hashlib.sha256(raw[r.offset : r.offset + r.length]).digest() for r in own], len(left) - 1)
     assert warc.audited_pages(df.limit(0)).count() == 0
 
 
+def test_warc_trees_are_higher_than_a_range(spark, tmp_path):
+    """More records than a lot of 4096: the upper levels come from the engine."""
+    df = spark.range(9000).selectExpr("id AS page_id", "concat('u', id) AS url", "concat('h', id) AS html").coalesce(1)
+    folder = f"file://{tmp_path}/w"
+    index = warc.write_warc(df, folder)
+    levels = warc.tree(index, folder, "a")
+    listed = sorted(index.collect(), key=lambda r: r.record)
+    raw = (tmp_path / "w" / "a" / listed[0].file).read_bytes()
+    assert len(levels) == 5 and bytes(levels[-1].first().digest) == merkle_root([hashlib.sha256(raw[r.offset : r.offset + r.length]).digest() for r in listed], 4)
+
+
+def test_seeded_damage_is_found_and_nothing_else(spark):
+    pages = [(i if i % 9 else None, f"http://x/{i}", f"<p>{i}</p>") for i in range(300)]
+    got = warc.audited_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), damage=(3, 10)).collect()
+    assert len(got) == 300 and 0 < sum(not r.intact for r in got) < 100
+    for r in got:
+        assert r.intact == (xxhash.xxh64_intdigest(f"{r.page_id}|{r.url}", 3) % 10 != 0)
+        assert r.payload_sha256 == hashlib.sha256(f"<p>{r.url[9:]}</p>".encode()).hexdigest()
+
+
 def test_warc_missing_replica_file_is_damage(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
     folder = f"file://{tmp_path}/w"
