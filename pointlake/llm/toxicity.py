@@ -1,15 +1,19 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A clause is read as a string of word classes: insult, threat, target (a person or group spoken of or
-to), negation, reported speech, other. Three small machines (is a target named, is a negation in
-force, is the clause reported) are composed into one, and insults and threats that it reads are
-emitted with the state it is in. Reported speech goes on over quotes, colons and commas to the end of
-the sentence. A clause scores the lexical weight of what it emits on an arc that
-depends on that state, so a word alone has no score and a negated or quoted one has its own.
-
-Lexical weights and arc weights are learned from labelled rows. Words of the insult class are found
-as word beginnings and whole words that labelled toxic documents have and others lack, beside a fixed
-seed list. Labels, languages, sources and ids are no inputs of a score.
+A clause is read as a string of word classes: insult, threat, intent (will, going to), target (a person or
+group spoken of or to), negation, reported speech, other. Small machines are composed into one: is a
+target named, is an intent stated (which announces a threat), is a negation in force, is the clause
+reported. Two transducers run over the composed state: the insult transducer emits each insult, the
+threat transducer each threat, with the state it was read in and, when the clause ends, whether a
+target was named before or after. Reported speech goes on over quotes, colons and commas to the end of
+the sentence. A clause scores the lexical weight of what it emits on an arc that depends on that
+state, so a negated or quoted word, an unannounced threat and a word without a target have arcs of
+their own, whose weights are learned.
+
+Lexical weights and arc weights are learned from labelled rows. Terms are found as word beginnings and
+whole words that labelled toxic documents have and others lack, beside fixed seed lists; a term is a
+threat if most of its clauses announce it and name a target, else an insult. Labels, languages, sources
+and ids are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -39,12 +43,13 @@ THRESHOLD = 0.7
 INSULTS = "idiot* moron* stupid* loser* scum trash pathetic worthless disgusting dumb* filth* vermin bastard* arschloch* dummkopf* abschaum connard* salaud* imbécile* idiota* imbécil* basura".split()
 THREATS = "kill* murder* hang burn shoot strangle* töte* umbringen erschieße* tuer tuerai matar mataré".split()
 TARGETS = "you your yours yourself u they them their he him his she her those these people everyone du dich dir ihr euch sie ihn tu te toi vous ils elles lui usted ustedes tú ti ellos ellas él ella".split()
+INTENTS = "will shall gonna i'll we'll werde werden vais allons voy vamos".split()
 NEGATIONS = "not no never nobody none without isn't aren't don't nicht kein keine keiner niemals nie ne pas jamais aucun sans nunca jamás ningún sin".split()
 REPORTS = "said says say told wrote writes called quoted quote reported claimed according sagte sagt schrieb laut dit disait selon dijo dice según".split()
 
 _WORD, _CLAUSE = re.compile(r"[^\W_]+(?:'[^\W_]+)?"), re.compile(r"[.!?;:,\n|()\"]+")
-I, H, T, N, R, W = "insult", "threat", "target", "negation", "report", "other"
-CLASSES = (I, H, T, N, R, W)
+I, H, A, T, N, R, W = "insult", "threat", "intent", "target", "negation", "report", "other"
+CLASSES = (I, H, A, T, N, R, W)
 #: Cuts of these characters alone end a clause but not its sentence.
 WITHIN = frozenset('",:')
 SCOPE = 4  # words that a negation reaches
@@ -68,19 +73,27 @@ def compose(*machines: Machine) -> tuple[dict[tuple[int, str], int], list[tuple[
 TARGETED = Machine(2, lambda s, c: 1 if c == T else s)
 NEGATED = Machine(SCOPE + 1, lambda s, c: SCOPE if c == N else max(s - 1, 0))
 REPORTED = Machine(2, lambda s, c: 1 if c == R else s)
-STEP, STATES = compose(TARGETED, NEGATED, REPORTED)
+ANNOUNCED = Machine(2, lambda s, c: 1 if c == A else s)
+STEP, STATES = compose(TARGETED, NEGATED, REPORTED, ANNOUNCED)
 #: The start of a clause in a sentence that has no report so far, and in one that has.
-START = (STATES.index((0, 0, 0)), STATES.index((0, 0, 1)))
-#: Arcs: what is emitted, whether negated, reported, and whether the clause names a target.
-ARCS = [(k, n, r, t) for k in (I, H) for n in (False, True) for r in (False, True) for t in (False, True)]
+START = (STATES.index((0, 0, 0, 0)), STATES.index((0, 0, 1, 0)))
+#: What the transducers emit: an insult, a threat or an announced threat, whether negated and reported. At the end of the clause: whether it names a target.
+ANNOUNCES = "announced threat"
+ARCS = [(k, n, r, t) for k in (I, H, ANNOUNCES) for n in (False, True) for r in (False, True) for t in (False, True)]
 _ARC = {a: i for i, a in enumerate(ARCS)}
 #: Prior arc weights per unit of lexical weight: the ones the fit is pulled to.
-PRIOR = np.array([(1.0 if k == I else 0.8) * (0.3 if n else 1) * (0.5 if r else 1) * (1.2 if t else 1) for k, n, r, t in ARCS])
+PRIOR = np.array([(0.8 if k == H else 1.0) * (0.3 if n else 1) * (0.5 if r else 1) * (1.2 if t else 1) for k, n, r, t in ARCS])
+
+
+def emits(state: int, kind: str) -> tuple[str, bool, bool]:
+    """The output of the insult or threat transducer that reads its word in ``state``."""
+    _, negated, reported, announced = STATES[state]
+    return (ANNOUNCES if kind == H and announced else kind), negated > 0, reported > 0
 
 
 @dataclass
 class Grammar:
-    """Word beginnings and whole words (ending in $) of the insult and threat classes with lexical weights, arc weights and a bias."""
+    """Word beginnings and whole words (ending in $) of the insult and threat classes with lexical weights, weights of ``ARCS`` and a bias."""
 
     lexicon: dict[str, tuple[str, float]]
     arcs: np.ndarray = field(default_factory=lambda: PRIOR.copy())
@@ -100,36 +113,52 @@ class _Reader:
         self.automaton = ahocorasick.Automaton()
         entries: dict[str, list] = {}
         for term, (kind, weight) in lexicon:
-            entries.setdefault(term.rstrip("$"), []).append((term[-1] == "$", kind, weight))
+            entries.setdefault(term.rstrip("$"), []).append((term[-1] == "$", kind, weight, term))
         for text, own in entries.items():
             self.automaton.add_word(text, (len(text), own))
         self.empty = not entries
         if entries:
             self.automaton.make_automaton()
-        self.classes = {w: c for c, ws in ((T, TARGETS), (N, NEGATIONS), (R, REPORTS)) for w in ws}
+        self.classes = {w: c for c, ws in ((T, TARGETS), (N, NEGATIONS), (R, REPORTS), (A, INTENTS)) for w in ws}
 
-    def hits(self, text: str) -> dict[int, tuple[str, float]]:
-        """Word start -> class and lexical weight of the longest term there."""
-        found: dict[int, tuple[int, str, float]] = {}
+    def hits(self, text: str) -> dict[int, tuple[str, float, str]]:
+        """Word start -> class, lexical weight and name of the longest term there."""
+        found: dict[int, tuple[int, str, float, str]] = {}
         for end, (size, own) in self.automaton.iter(text):
             start = end - size + 1
             if start and (text[start - 1].isalnum()):
                 continue
             whole = end + 1 == len(text) or not text[end + 1].isalnum()
-            for exact, kind, weight in own:
+            for exact, kind, weight, term in own:
                 if (whole or not exact) and (start not in found or size + exact > found[start][0]):
-                    found[start] = (size + exact, kind, weight)
-        return {s: (k, w) for s, (_, k, w) in found.items()}
+                    found[start] = (size + exact, kind, weight, term)
+        return {s: tuple(rest) for s, (_, *rest) in found.items()}
 
     def features(self, text: str | None) -> np.ndarray:
         """For each arc the lexical weight emitted over all clauses, a clause at most 8 and an arc at most 16."""
         out = np.zeros(len(ARCS))
+        for emitted, targeted in self.clauses(text):
+            room = 8.0
+            for output, weight, _, _ in emitted:
+                weight = min(weight, room)
+                out[_ARC[*output, targeted]] += weight
+                room -= weight
+        return np.minimum(out, 16.0)
+
+    def threatening(self, text: str | None) -> Iterator[tuple[str, bool]]:
+        """Each term's name as often as it is read, and whether its clause announces it and names a target."""
+        for emitted, targeted in self.clauses(text):
+            for _, _, term, announced in emitted:
+                yield term, announced and targeted
+
+    def clauses(self, text: str | None) -> Iterator[tuple[list, bool]]:
+        """For each clause that emits: (output, lexical weight, term, announced) of each emission, and whether the clause names a target."""
         if not text or self.empty:
-            return out
+            return
         text = text.lower()
         hits = self.hits(text)
         if not hits:
-            return out
+            return
         begin, done = 0, 0
         seen, reported = 0, False  # up to where this sentence was searched for a report
         starts = sorted(hits)
@@ -141,36 +170,29 @@ class _Reader:
                 while n < len(starts) and starts[n] < end:
                     n += 1
                 reported = reported or self._reports(text, seen, begin, hits)
-                reported = self._clause(text, begin, end, hits, out, reported)
+                emitted, targeted, reported = self._clause(text, begin, end, hits, reported)
+                yield emitted, targeted
                 seen = end
                 done = n if cut else len(starts)
             begin = cut.end() if cut else end
             if cut and not WITHIN.issuperset(cut[0]):
                 seen, reported = begin, False
-        return np.minimum(out, 16.0)
 
     def _reports(self, text: str, begin: int, end: int, hits: dict) -> bool:
         return any(self.classes.get(m[0]) == R and m.start() not in hits for m in _WORD.finditer(text, begin, end))
 
-    def _clause(self, text: str, begin: int, end: int, hits: dict, out: np.ndarray, told: bool) -> bool:
-        """Adds what the clause emits to ``out``; whether its sentence has a report by its end."""
+    def _clause(self, text: str, begin: int, end: int, hits: dict, told: bool) -> tuple[list, bool, bool]:
+        """What the clause emits, whether it names a target, and whether its sentence has a report by its end."""
         state, emitted = START[told], []
         for m in _WORD.finditer(text, begin, end):
             at = m[0].find("'") + 1  # the part after an elision is a word as well
             found = [hits[i] for i in ((m.start(), m.start() + at) if at else (m.start(),)) if i in hits]
-            for kind, weight in found:
-                _, negated, reported = STATES[state]
-                emitted.append((kind, negated > 0, reported > 0, weight))
+            for kind, weight, term in found:
+                emitted.append((emits(state, kind), weight, term, STATES[state][3] > 0))
                 state = STEP[state, kind]
             if not found:
                 state = STEP[state, self.classes.get(m[0], W)]
-        targeted = STATES[state][0] > 0
-        room = 8.0
-        for kind, negated, reported, weight in emitted:
-            weight = min(weight, room)
-            out[_ARC[kind, negated, reported, targeted]] += weight
-            room -= weight
-        return STATES[state][2] > 0
+        return emitted, STATES[state][0] > 0, STATES[state][2] > 0
 
 
 @lru_cache(maxsize=4)
@@ -282,8 +304,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     if not n:
         return Grammar(_seeds())
     share = min(1.0, fit_rows / n)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # at most about fit_rows rows of two numbers
+    chosen = materialise(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))), "toxic-ids")
+    few = chosen.count() <= 2 * fit_rows  # two numbers a row
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen) if few else chosen, "doc_id")
     # near copies teach once: rows of one label with the same least shingle hash are one row
     raw = materialise(texts.select("doc_id", "text", "toxic"), "toxic-sample")
     sample = materialise(_sketched(raw).groupBy("sketch", "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic"), "toxic-rows")
@@ -295,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     @freeing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        flush = lambda: pa.RecordBatch.from_pydict({"term": (terms := list(counts[0].keys() | counts[1].keys())), "a": pa.array([counts[1][t] for t in terms], pa.int64()), "b": pa.array([counts[0][t] for t in terms], pa.int64())})
+        flush = lambda: pa.RecordBatch.from_pydict({"term": pa.array(terms := list(counts[0].keys() | counts[1].keys()), pa.string()), "a": pa.array([counts[1][t] for t in terms], pa.int64()), "b": pa.array([counts[0][t] for t in terms], pa.int64())})
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 counts[bool(label)].update(_term_features(text.as_py()))
@@ -306,7 +329,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
 
     terms = sample.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 5 AND a * 8 > b")
     ranked = terms.orderBy(F.desc(F.expr("(a + 0.5) / (b + 0.5) * sqrt(a)")), "term").limit(16 * LEXICON).collect()
-    grammar = Grammar(_seeds() | _induce([tuple(r) for r in ranked], toxic, clean))
+    induced = _induce([tuple(r) for r in ranked], toxic, clean)
+
+    @freeing
+    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, seen = Grammar(induced).compiled(), Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(reader.threatening(text.as_py()))
+        keys = list(seen)  # at most LEXICON terms, twice
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([seen[k] for k in keys], pa.int64())], ["term", "threat", "n"])
+
+    used = sample.where("toxic > 0").mapInArrow(uses, "term string, threat boolean, n long").groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("threat"), F.col("n")).otherwise(0)).alias("t"))
+    threats = {r["term"] for r in used.where("2 * t > n AND n >= 5").collect()}
+    induced = {t: (H if t in threats else k, w) for t, (k, w) in induced.items()}
+    grammar = Grammar(_seeds() | induced)
 
     @freeing
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
