@@ -130,3 +130,37 @@ def class_from_size(semantic: Column, volume: Column, height: Column, default: i
         .otherwise(F.lit(default))
         .cast("int")
     )
+
+
+def class_from_record(semantic: Column, class_id: Column, class_name: Column, volume: Column, height: Column) -> Column:
+    """The class of a box record: a positive semantic or class id, else the least id of the named target or label, else from its size."""
+    names = {n.replace("-", "_"): i for i, n in NAMES.items() if i > 0} | {n: min(ids) for n, ids in TARGETS.items()}
+    names |= {"pedestrian": names["person"], "cyclist": names["bicyclist"]}
+    key = F.translate(F.lower(F.trim(class_name)), " -", "__")
+    pairs = [F.lit(x) for kv in names.items() for x in kv]
+    named = F.try_element_at(F.create_map(*pairs), key)
+    return class_from_size(F.coalesce(F.when(semantic > 0, semantic), F.when(class_id > 0, class_id), named, F.lit(0)), volume, height)
+
+
+def load_ontology(path: str) -> dict[str, dict]:
+    """The tables of an ontology file (YAML): labels, color_map, learning_map, learning_map_inv, content, learning_ignore and split; those it lacks are empty."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        got = yaml.safe_load(f) or {}
+    if not isinstance(got, dict) or "labels" not in got:
+        raise ValueError(f"{path} has no labels")
+    return {k: got.get(k, {}) for k in ("labels", "color_map", "learning_map", "learning_map_inv", "content", "learning_ignore", "split")}
+
+
+def ontology_dimension(spark: SparkSession, tables: dict[str, dict]) -> DataFrame:
+    """``dimension`` from the tables of a file: one row a label, so it is safe to broadcast."""
+    colour = lambda i: tuple(tables["color_map"].get(i, (128, 128, 128)))
+    rows = [(int(i), str(n), int(tables["learning_map"].get(i, 0)), int(i) in THINGS, *map(int, colour(i))) for i, n in tables["labels"].items()]
+    return spark.createDataFrame(rows, "semantic_id int, name string, training_id int, thing boolean, blue int, green int, red int")
+
+
+def split_sequences(split: str) -> tuple[int, ...]:
+    if split not in SPLITS:
+        raise ValueError(f"unknown split: {split}")
+    return SPLITS[split]

@@ -45,17 +45,19 @@ def reference_boxes(points: DataFrame, min_points: int = 10, z_percentile: float
 
 
 def outcomes(predictions: DataFrame, references: DataFrame, matches: DataFrame, p_id: str = "box_id", r_id: str = "box_id") -> DataFrame:
-    """frame, kind (tp, fp, fn), distance, iou: matched pairs and missed references at the reference's distance, false alarms at the prediction's."""
+    """frame, kind (tp, fp, fn), distance, iou: matched pairs and missed references at the reference's distance, false alarms at the prediction's.
+
+    Predictions, references and matches are read once each.
+    """
     keys = frame_keys(predictions)
     away = F.sqrt(F.col("center_x") ** 2 + F.col("center_y") ** 2).alias("distance")
-    p = predictions.select(*keys, F.col(p_id).alias("p_id"), away)
-    r = references.select(*keys, F.col(r_id).alias("r_id"), away)
-    row = lambda df, kind, iou: df.select(*keys, F.lit(kind).alias("kind"), "distance", iou.cast("double").alias("iou"))
-    none = F.lit(None)
-    tp = row(matches.join(r, [*keys, "r_id"]), "tp", F.col("iou"))
-    fp = row(p.join(matches, [*keys, "p_id"], "left_anti"), "fp", none)
-    fn = row(r.join(matches, [*keys, "r_id"], "left_anti"), "fn", none)
-    return tp.union(fp).union(fn)
+    p = predictions.select(*keys, F.col(p_id).alias("id"), away, F.lit(False).alias("_ref"))
+    r = references.select(*keys, F.col(r_id).alias("id"), away, F.lit(True).alias("_ref"))
+    hit = F.explode(F.array(F.struct(F.col("p_id").cast("long").alias("id"), F.lit(False).alias("_ref")), F.struct(F.col("r_id").cast("long").alias("id"), F.lit(True).alias("_ref")))).alias("h")
+    hits = matches.select(*keys, "iou", hit).select(*keys, "h.id", "h._ref", F.col("iou").cast("double").alias("iou"))
+    both = p.union(r).withColumn("id", F.col("id").cast("long")).join(hits, [*keys, "id", "_ref"], "left")
+    kind = F.when(F.col("iou").isNull(), F.when(F.col("_ref"), F.lit("fn")).otherwise(F.lit("fp"))).when(F.col("_ref"), F.lit("tp"))
+    return both.select(*keys, kind.alias("kind"), "distance", "iou").where("kind IS NOT NULL")
 
 
 def _ratios(counts: DataFrame) -> DataFrame:
@@ -113,6 +115,30 @@ def semantic_iou(pairs: DataFrame, ignore: Sequence[int] = (0,)) -> DataFrame:
     return kept.withColumn("iou", F.coalesce(F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp") + F.col("fn")).cast("double")), F.lit(0.0)))
 
 
+def semantic_summary(pairs: DataFrame, by: Sequence[str] = (), ignore: Sequence[int] = (0,)) -> DataFrame:
+    """Mean IoU over the classes that occur and accuracy of (true_id, pred_id) pairs, for each group of the columns ``by``: classes, mean_iou, accuracy.
+
+    Pairs whose true class is ignored do not count; a pair that is predicted as an ignored class is a miss of its true class.
+    """
+    kept = pairs.where(~F.col("true_id").isin(*ignore)) if ignore else pairs
+    counts = kept.groupBy(*by, "true_id", "pred_id").agg(F.count("*").alias("n"))
+    same = F.col("true_id") == F.col("pred_id")
+    side = F.explode(F.array(F.struct(F.col("true_id").alias("class"), F.lit(True).alias("t")), F.struct(F.col("pred_id").alias("class"), F.lit(False).alias("t")))).alias("s")
+    each = counts.withColumn("same", same).select(*by, "n", "same", side).groupBy(*by, "s.class").agg(F.sum(F.when(F.col("same") & F.col("s.t"), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(~F.col("same"), F.col("n")).otherwise(0)).alias("wrong"))
+    each = each.where(~F.col("class").isin(*ignore)) if ignore else each
+    iou = each.groupBy(*by).agg(F.count("*").alias("classes"), F.avg(F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("wrong")).cast("double"))).alias("mean_iou"))
+    right = counts.groupBy(*by).agg((F.sum(F.when(same, F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+    return iou.join(right, list(by)) if by else iou.crossJoin(right)  # one row each
+
+
+def with_distance_bin(points: DataFrame, edges: Sequence[float] = (0.0, 10.0, 20.0, 30.0, 40.0, 50.0)) -> DataFrame:
+    """Adds ``bin``, the name of the distance bin of x and y; points beyond the last edge or below the first go."""
+    edges = [float(e) for e in edges]
+    names = F.array(*[F.lit(bin_name(a, b)) for a, b in zip(edges, edges[1:], strict=False)])
+    away = F.sqrt(F.col("x").cast("double") ** 2 + F.col("y").cast("double") ** 2)
+    return points.withColumn("bin", F.get(names, strict_bin(away, edges))).where("bin IS NOT NULL")
+
+
 def class_subset_mean(per_class: DataFrame, names: Sequence[str]) -> DataFrame:
     """Mean IoU over the named classes found (name, iou), and how many were missing."""
     key = F.translate(F.lower(F.trim("name")), " -", "__")
@@ -121,7 +147,8 @@ def class_subset_mean(per_class: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def metrics_json(overall: DataFrame, by_distance: DataFrame, config: dict, num_frames: int) -> str:
-    """The metrics as strict JSON. An infinite bin edge is written as "inf"."""
+    """The metrics as strict JSON, with the counts of predictions and references. An infinite bin edge is written as "inf"."""
     plain = lambda v: "inf" if v == float("inf") else [plain(x) for x in v] if isinstance(v, (list, tuple)) else v
-    body = {"overall": overall.first().asDict(), "by_distance": {r["name"]: r.asDict() for r in by_distance.collect()}, "config": {k: plain(v) for k, v in config.items()}, "num_frames": num_frames}
+    whole = lambda r: (d := r.asDict()) | {"predictions": d["tp"] + d["fp"], "reference_boxes": d["tp"] + d["fn"]}
+    body = {"overall": whole(overall.first()), "by_distance": {r["name"]: whole(r) for r in by_distance.collect()}, "config": {k: plain(v) for k, v in config.items()}, "num_frames": num_frames}
     return json.dumps(body, allow_nan=False, indent=2)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import functools
 import json
+import platform
 import time
 from contextlib import contextmanager
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointlake.schema import TIMING
+from pointlake.session import read_text
 
 
 class Timings:
@@ -85,23 +88,59 @@ def slowest(timing: DataFrame, n: int = 10) -> DataFrame:
     return module_stats(timing).orderBy(F.desc("total_ms"), "module").limit(n)
 
 
-def report(timing: DataFrame) -> dict:
-    """Modules and frames with milliseconds to 3 digits and rates to 2; small, so it is collected."""
-    short = lambda row: {k: round(v, 2 if k.startswith(("fps", "percent")) else 3) if isinstance(v, float) else v for k, v in row.asDict().items()}
-    return {"modules": [short(r) for r in slowest(timing, 1000).collect()], "frame_timing": short(frame_stats(timing).first())}
+def _short(row: dict) -> dict:
+    """Milliseconds to 3 digits, rates and shares to 2."""
+    return {k: round(v, 2 if k.startswith(("fps", "percent")) else 3) if isinstance(v, float) else v for k, v in row.items()}
+
+
+def system_info() -> dict[str, str]:
+    return {"os": platform.system(), "os_version": platform.version(), "python_version": platform.python_version(), "platform": platform.platform(), "processor": platform.processor() or "Unknown", "architecture": platform.machine()}
+
+
+def summary(timing: DataFrame, total_points: int = 0) -> DataFrame:
+    """One row: total_frames, total_time_ms over all records, total_points, points_per_second (0 without points or time).
+
+    Frames are the "total" records if there are any, else the frames that have a record.
+    """
+    sums = timing.agg(F.coalesce(F.sum("duration_ms"), F.lit(0.0)).alias("total_time_ms"), F.count_if(F.col("module") == "total").alias("_total"), F.countDistinct("frame_id").alias("_frames"))
+    rate = F.when(F.col("total_time_ms") > 0, F.lit(total_points) * 1000 / F.col("total_time_ms")).otherwise(F.lit(0.0))
+    return sums.select(F.when(F.col("_total") > 0, F.col("_total")).otherwise(F.col("_frames")).alias("total_frames"), "total_time_ms", F.lit(total_points).cast("long").alias("total_points"), rate.alias("points_per_second"))
+
+
+def report(timing: DataFrame, total_points: int = 0, now: str | None = None) -> dict:
+    """timestamp, system_info, modules (most time first), frame_timing (null without frames) and summary; small, so it is collected."""
+    frames = frame_stats(timing).first().asDict()
+    return {
+        "timestamp": now or datetime.now().isoformat(),
+        "system_info": system_info(),
+        "modules": [_short(r.asDict()) for r in slowest(timing, 1000).collect()],
+        "frame_timing": _short(frames) if frames["frames"] else None,
+        "summary": _short(summary(timing, total_points).first().asDict()),
+    }
 
 
 def report_markdown(body: dict) -> str:
-    lines = ["# Performance", "", "| module | count | mean ms | p50 | p90 | p99 | total ms | % |", "| --- | ---: | ---: | ---: | ---: | ---: | ---: | ---: |"]
-    lines += [f"| {m['module']} | {m['count']} | {m['mean_ms']} | {m['p50_ms']} | {m['p90_ms']} | {m['p99_ms']} | {m['total_ms']} | {m['percent']} |" for m in body["modules"]]
-    f = body["frame_timing"]
-    return "\n".join([*lines, "", f"Frames: {f['frames']}, {f['mean_ms']} ms a frame, {f['fps_mean']} frames a second.", ""])
+    """The report as text: summary, frames, modules."""
+    whole, f = body["summary"], body["frame_timing"]
+    lines = ["# Performance", "", f"Made {body['timestamp']} on {body['system_info']['platform']}.", ""]
+    lines += [f"{whole['total_frames']} frames, {whole['total_time_ms']} ms in all modules, {whole['total_points']} points, {whole['points_per_second']} points a second.", ""]
+    if f:
+        lines += ["| frame time | ms |", "| --- | ---: |", *[f"| {k} | {f[f'{k}_ms']} |" for k in ("mean", "std", "p50", "p90", "p99", "min", "max")], "", f"Frames: {f['frames']}, {f['mean_ms']} ms a frame, {f['fps_mean']} frames a second.", ""]
+    lines += ["| module | count | mean ms | std | p50 | p90 | p99 | min | max | total ms | % |", "| --- |" + " ---: |" * 10]
+    lines += [f"| {m['module']} | " + " | ".join(str(m[k]) for k in ("count", "mean_ms", "std_ms", "p50_ms", "p90_ms", "p99_ms", "min_ms", "max_ms", "total_ms", "percent")) + " |" for m in body["modules"]]
+    return "\n".join([*lines, ""])
 
 
 def report_json(body: dict) -> str:
     return json.dumps(body, allow_nan=False, indent=2)
 
 
+def load_report(spark: SparkSession, uri: str) -> dict:
+    """A report that ``report_json`` wrote; parts that an older file lacks are empty."""
+    got = json.loads(read_text(spark, uri))
+    return {"timestamp": "", "system_info": {}, "modules": [], "frame_timing": None, "summary": {}} | got
+
+
 def best_methods(results: DataFrame) -> DataFrame:
     """Of (ordinal, method, f1, mean_ms): the method with the best F1 and the fastest, the first on ties."""
     return results.agg(F.max_by("method", F.struct("f1", (-F.col("ordinal")).alias("o"))).alias("best_f1"), F.min_by("method", F.struct("mean_ms", "ordinal")).alias("fastest"))

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the session names in ``spark.checkpoint.dir``. Only a session that names none
-    (local tests) gets a temporary folder, which is then set as the checkpoint folder as well.
+    It is what the session names in ``spark.checkpoint.dir``. A local session (one machine) that names
+    none gets a temporary folder, which is then set as the checkpoint folder as well; on a cluster a
+    missing setting is an error, since executors would write to their own disks.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -20,14 +21,25 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pointlake-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new folder name under the shared folder."""
-    return f"{shared_dir(spark)}/pointlake/{tag}-{uuid.uuid4().hex}"
+    """A new folder under the shared folder, deleted when the driver's virtual machine ends."""
+    uri = f"{shared_dir(spark)}/pointlake/{tag}-{uuid.uuid4().hex}"
+    path, store = _hadoop(spark, uri)
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return uri
+
+
+def _hadoop(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -38,9 +50,33 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_text(spark: SparkSession, uri: str, text: str) -> None:
+    write_bytes(spark, uri, text.encode())
+
+
+def write_bytes(spark: SparkSession, uri: str, body: bytes) -> None:
+    """Replaces a small file in any store that the engine knows."""
+    path, store = _hadoop(spark, uri)
+    out = store.create(path, True)
+    try:
+        out.write(bytearray(body))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, uri: str) -> str:
+    """A small file from any store that the engine knows."""
+    return spark.read.text(uri, wholetext=True).first()[0]
+
+
+def exists(spark: SparkSession, uri: str) -> bool:
+    path, store = _hadoop(spark, uri)
+    return store.exists(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

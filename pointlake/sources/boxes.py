@@ -47,14 +47,22 @@ def flattened(frames: DataFrame) -> DataFrame:
     )
 
 
-def write_jsonl(frames: DataFrame, path: str) -> None:
-    """Replaces ``path`` by JSON lines."""
-    frames.write.mode("overwrite").json(path)
-
-
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of boxes; a malformed line fails the read, blank lines are skipped."""
-    return spark.read.schema(FRAME_BOXES).option("mode", "FAILFAST").json(path)
+def write_jsonl(frames: DataFrame, path: str, append: bool = False) -> None:
+    """Replaces ``path`` by JSON lines, or adds to it."""
+    frames.write.mode("append" if append else "overwrite").json(path)
+
+
+def read_jsonl(spark: SparkSession, path: str, line: str | None = None) -> DataFrame:
+    """Frames of boxes; a malformed line fails the read, blank lines are skipped.
+
+    ``line`` names a column with the place of each record: file, offset of the part that was read and
+    order within it, so that later lines of a file compare greater.
+    """
+    rows = spark.read.schema(FRAME_BOXES).option("mode", "FAILFAST").json(path)
+    if line is None:
+        return rows
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("row"))
+    return rows.withColumn(line, place)
 
 
 def write_parquet(flat: DataFrame, path: str) -> None:

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.functions.labels import instance_of, packed, semantic_of, label_of_training
+from pointlake.functions.labels import instance_of, label_of_training, packed, semantic_of
+from pointlake.session import exists
 
 _NAME = r"sequences/(\d+)/[^/]+/(\d+)\.\w+$"
 
@@ -46,6 +47,42 @@ def scan_info(spark: SparkSession, root: str, sequence: str | int) -> DataFrame:
     return out.withColumn("labels", F.expr("label_bytes div 4")).withColumn("sequence", F.lit(sequence_name(sequence)))
 
 
+def open_sequence(spark: SparkSession, root: str, sequence: str | int) -> DataFrame:
+    """``scan_info`` of a sequence that has its folder and at least one scan; else FileNotFoundError."""
+    name = sequence_name(sequence)
+    for part in (root, f"{root}/sequences/{name}", f"{root}/sequences/{name}/velodyne"):
+        if not exists(spark, part):
+            raise FileNotFoundError(part)
+    info = scan_info(spark, root, name)
+    if info.isEmpty():
+        raise FileNotFoundError(f"no scans in {root}/sequences/{name}/velodyne")
+    return info
+
+
+def read_frame(spark: SparkSession, root: str, sequence: str | int, frame_id: int) -> DataFrame:
+    """The points of one frame, whose file alone is read; IndexError if the sequence has no such frame."""
+    info = open_sequence(spark, root, sequence)
+    if frame_id < 0 or info.where(F.col("frame_id") == frame_id).isEmpty():
+        raise IndexError(f"frame {frame_id} is not in sequence {sequence_name(sequence)}")
+    return read_scans(spark, root, sequence, frame_id, frame_id + 1)
+
+
+def prediction_files(spark: SparkSession, root: str, sequence: str | int) -> DataFrame:
+    """frame_id, path, points of each prediction file, from names and sizes alone; a missing folder has none."""
+    path = f"{root}/sequences/{sequence_name(sequence)}/predictions"
+    if not exists(spark, path):
+        return spark.createDataFrame([], "frame_id int, path string, points long")
+    files = _files(spark, root, sequence, "predictions", "label")
+    return files.select(_frame_id(F.col("path")).alias("frame_id"), "path", F.expr("length div 4").alias("points"))
+
+
+def sequences_with_predictions(spark: SparkSession, root: str) -> list[str]:
+    """The sequence folders below ``root``, a directory listing of at most a few dozen names."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/sequences")
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in store.listStatus(top) if s.isDirectory()) if store.exists(top) else []
+
+
 _POINT = "frame_id int, point_id long, x float, y float, z float, remission float"
 
 
@@ -145,3 +182,17 @@ def write_labels(labels: DataFrame, root: str, inverse_training: bool = False) -
         return pa.table({"sequence": [sequence], "frame_id": pa.array([frame], pa.int32()), "points": [table.num_rows], "error": pa.array([error], pa.string())})
 
     return rows.groupBy("sequence", "frame_id").applyInArrow(lambda t: write(t), "sequence string, frame_id int, points long, error string")
+
+
+def export_failures(wanted: DataFrame, done: DataFrame) -> DataFrame:
+    """frame_id, error of the frames (frame_id) that were to be written and were not."""
+    both = wanted.select("frame_id").join(done.select("frame_id", "error", F.lit(True).alias("_there")), "frame_id", "left")
+    return both.where("_there IS NULL OR error IS NOT NULL").select("frame_id", F.coalesce("error", F.lit("no labels")).alias("error"))
+
+
+def export_totals(wanted: DataFrame, done: DataFrame) -> DataFrame:
+    """One row: frames, exported, failed, points."""
+    both = wanted.select("frame_id").join(done.select("frame_id", "error", "points"), "frame_id", "left")
+    good = F.col("points").isNotNull() & F.col("error").isNull()
+    sums = both.agg(F.count("*").alias("frames"), F.count_if(good).alias("exported"), F.coalesce(F.sum(F.when(good, F.col("points"))), F.lit(0)).alias("points"))
+    return sums.select("frames", "exported", (F.col("frames") - F.col("exported")).alias("failed"), "points")
