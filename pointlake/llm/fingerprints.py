@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.memory import freeing
+from pointlake.llm.memory import freeing, text_batches
 from pointlake.operators.partitioning import cut_points, deal, range_index
 from pointlake.session import shuffle_partitions
 
@@ -284,6 +284,7 @@ def fingerprint_documents(docs: DataFrame, batch_chars: int = 2_000_000) -> Data
     so which rows travel twice is known before the shuffle.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     n = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = cut_points(rows, "doc_id", n)

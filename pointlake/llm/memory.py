@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 def release() -> None:
@@ -28,3 +29,14 @@ def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         release()
 
     return whole
+
+
+#: Rows of whole texts in one Arrow batch, on both sides of the pipe.
+TEXT_ROWS = 1_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to TEXT_ROWS, since the default of 10,000 is meant for numbers and not for whole documents."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.memory import freeing
+from pointlake.llm.memory import freeing, text_batches
 from pointlake.llm.tokens import encoder
 from pointlake.operators.partitioning import deal
 from pointlake.session import materialise
@@ -96,6 +96,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     ``lot`` pieces that are packed independently: a lot wastes less than a few open sequences, so
     the loss against one global packing is a few sequences in each ``lot`` pieces, at any size.
     """
+    text_batches(docs.sparkSession)
     pieces = materialise(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
     n = max(1, -(-pieces.count() // lot))
     mixed = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()) if n > 1 else F.lit(0)

@@ -15,13 +15,13 @@ slot and hash bucket, one packed array of the slot's distinct window hashes (cop
 are folded before the shuffle, so a passage in a third of all documents costs a bucket one entry a
 slot) and gets back one bit a hash. No window or document list is ever gathered. There is at most one
 such array for each block that the shuffle has anyway (map task by partition), so they add no order
-of growth to it. A slot holds its texts as Arrow bytes and 8 bytes a word, no word objects.
+of growth to it. A slot holds its texts as Arrow bytes; words are arrays of one block of texts at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from pointlake.llm.memory import release
+from pointlake.llm.memory import release, text_batches
 from pointlake.llm.text import named
 from pointlake.llm.wordblocks import Block, blocks, mix
 from pointlake.operators.partitioning import deal, slot_keys
@@ -128,11 +128,15 @@ class _Slot:
 
     def __init__(self, table: pa.Table, lengths: list[int]):
         self.lengths = lengths
-        self.docs = table.column("doc_id").fill_null(_NONE).to_numpy()
-        self.blocks = [(first, _Windows(b, self.docs[first : first + len(b)])) for first, b in blocks(table.column("text"))]
+        self.docs, self.texts = table.column("doc_id").fill_null(_NONE).to_numpy(), table.column("text")
+
+    def windows(self) -> Iterator[_Windows]:
+        """Block by block; words are found and hashed anew each time, so that one block's arrays are held at once."""
+        for first, b in blocks(self.texts):
+            yield _Windows(b, self.docs[first : first + len(b)])
 
     def distinct(self, k: int, answers: dict[int, np.ndarray]) -> _Distinct:
-        return _Distinct(self.blocks, k, self.lengths, answers)
+        return _Distinct(self.windows(), k, self.lengths, answers)
 
 
 class _Distinct:
@@ -142,15 +146,19 @@ class _Distinct:
     last there is a second one, over another hash of each word.
     """
 
-    def __init__(self, parts: list[tuple[int, _Windows]], k: int, lengths: list[int], answers: dict[int, np.ndarray]):
-        none = np.empty(0, _U)
-        found = [w.candidates(k, lengths, answers) for _, w in parts]
-        self.at = [at for at, _ in found]
-        keys = np.concatenate([own for _, own in found] or [none])
-        docs = np.concatenate([w.doc(at) for (_, w), at in zip(parts, self.at, strict=True)] or [np.empty(0, np.int64)])
-        second = None
-        if k == len(lengths) - 1:
-            second = np.concatenate([windows(w.block.hashes(1), lengths[k])[at] if len(at) else none for (_, w), at in zip(parts, self.at, strict=True)] or [none])
+    def __init__(self, parts: Iterator[_Windows], k: int, lengths: list[int], answers: dict[int, np.ndarray]):
+        last = k == len(lengths) - 1
+        self.at: list[np.ndarray] = []
+        columns: list[list[np.ndarray]] = [[np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, _U)]]
+        for w in parts:
+            at, own = w.candidates(k, lengths, answers)
+            self.at.append(at)
+            columns[0].append(own)
+            columns[1].append(w.doc(at))
+            if last and len(at):
+                columns[2].append(windows(w.block.hashes(1), lengths[k])[at])
+        keys, docs, second = map(np.concatenate, columns)
+        second = second if last else None
         order = np.argsort(keys, kind="stable") if second is None else np.lexsort((second, keys))
         keys, docs = keys[order], docs[order]
         new = _changes(keys) if second is None else _changes(keys) | _changes(second[order])
@@ -237,6 +245,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 13, base: int = BASE, carry
     pass; the last compares two hashes of 64 bits, over different hashes of each word.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     n, lengths = shuffle_partitions(spark), levels(min_words, base)
     buckets, last = slot_keys(n), len(lengths) - 1
     rest = F.struct(*[c for c, name in zip(named(docs), docs.columns, strict=True) if name in carry]) if carry else F.lit(None).cast("struct<none:int>")
@@ -307,7 +316,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 13, base: int = BASE, carry
             found = slot.distinct(last, answers(slot, right, last))
             elsewhere = marks(found.keys, n, _answered(right).get(last, {}), buckets)
             done = 0
-            for (_, w), at in zip(slot.blocks, found.at, strict=True):
+            for w, at in zip(slot.windows(), found.at, strict=True):
                 group = found.group[done : done + len(at)]
                 done += len(at)
                 starts = at[elsewhere[group] | (found.least[group] < w.doc(at))]

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.memory import freeing
+from pointlake.llm.memory import freeing, text_batches
 from pointlake.llm.tokens import encoder
 from pointlake.operators.partitioning import cut_points, deal, range_index
 from pointlake.session import scratch_path, shuffle_partitions
@@ -80,6 +80,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     one row a shard. Returns the manifest's shards.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     n, width = shuffle_partitions(spark), 2 if max(encoder(tokenizer).size, end_id + 1) <= 1 << 16 else 4
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     cuts = cut_points(rows, "doc_id", n)

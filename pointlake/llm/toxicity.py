@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.memory import freeing
+from pointlake.llm.memory import freeing, text_batches
 from pointlake.llm.text import words_of
 from pointlake.session import materialise
 
@@ -298,6 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     Null labels and ids teach nothing; of repeated labels the highest counts. Without rows of both
     kinds the grammar is the seed lexicon with prior weights.
     """
+    text_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()

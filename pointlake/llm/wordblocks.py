@@ -33,8 +33,9 @@ class Block:
         space = _SPACE[data]
         before = np.concatenate([[True], space[:-1]]) | edge[:-1] if len(data) else space
         after = np.concatenate([space[1:], [True]]) | edge[1:] if len(data) else space
-        self.begin = np.flatnonzero(~space & before)
-        self.size = np.flatnonzero(~space & after) + 1 - self.begin
+        kind = np.int32 if len(data) < 1 << 31 else np.int64
+        self.begin = np.flatnonzero(~space & before).astype(kind)
+        self.size = (np.flatnonzero(~space & after) + 1 - self.begin).astype(kind)
         #: Row i has the words start[i] to start[i + 1].
         self.start = np.searchsorted(self.begin, offsets)
 
