@@ -29,6 +29,8 @@ from pointlake.operators.partitioning import cut_points, deal, range_index
 from pointlake.session import scratch_path, shuffle_partitions
 
 NULL_ID = -(1 << 63)
+#: Bytes of a generation of the encoder's caches. A worker's tasks share them, so they hold the words of several partitions.
+CACHES = {"pieces": 160_000_000, "parts": 60_000_000}
 _SHARD = "shard long, part string, n_docs long, n_tokens long"
 _DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long"
 
@@ -41,7 +43,7 @@ def _writer(folder: str, tokenizer: str, width: int, end_id: int):
     @freeing
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, **CACHES).encode
         end = np.array([end_id], "<u4").tobytes()
         name, shard, ids_out, sizes, docs = uuid.uuid4().hex, None, None, [], []
         for batch in batches:

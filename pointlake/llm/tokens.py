@@ -105,6 +105,8 @@ class Encoder:
 
     def _encode_spaced(self, piece: str) -> bytes:
         """A piece that a space precedes; it may hold line breaks."""
+        if piece.isalpha() and piece.isascii():  # one pre-token, by either pattern
+            return self.parts[piece.lower() if self.lower else " " + piece]
         if _WORD(piece):
             found = self.part.findall(piece.lower() if self.lower else " " + piece)
             return self.parts[found[0]] if len(found) == 1 else b"".join([self.parts[x] for x in found])
@@ -125,6 +127,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder of a file in each Python worker."""
-    return Encoder(path)
+def encoder(path: str, **bounds: int) -> Encoder:
+    """One encoder of a file, with bounds of its caches, in each Python worker."""
+    return Encoder(path, **bounds)
