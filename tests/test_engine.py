@@ -243,6 +243,23 @@ def test_degenerate_boxes(spark):
     assert small.reason == "volume_too_small (0.000)"
 
 
+def test_boxes_along_the_grid_do_not_follow_the_order_of_rows(spark):
+    # the covariance is 0 but for rounding, whose sign differs by the order of the rows
+    grid_points = [(21.1 + 0.1 * a, 8 + 0.37 * b, 0.04 * (a + b)) for a in (0, 0, 2) for b in (0, 1, 1, 3)]
+    rng = np.random.default_rng(7)
+    rows = [(f, int(i), *map(float, grid_points[i % 12])) for f in range(300) for i in rng.permutation(36)]
+    points = spark.createDataFrame(rows, "frame_id int, point_id long, x float, y float, z float").withColumn("cluster_id", F.lit(0)).repartition(6, "point_id")
+    boxes = obb.fit_boxes(points).collect()
+    assert len(boxes) == 300 and {r.yaw for r in boxes} == {math.pi / 2}
+    assert all(r.center_x == pytest.approx(21.2, abs=1e-5) and r.center_y == pytest.approx(8.555, abs=1e-5) for r in boxes)
+
+
+def test_box_sides_carry_their_own_moments(spark):
+    points = cloud(spark, [(0, 0, 0), (2, 0, 0), (2, 1, 1), (0, 1, 1)], cluster_id=[0] * 4)
+    plan = obb.fit_boxes(points)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("covar_samp") == 1
+
+
 def box_table(spark, boxes, ids=None):
     rows = [(0, i, 10, *map(float, b), True) for i, b in enumerate(boxes)]
     df = spark.createDataFrame(rows, "frame_id int, box_id int, semantic_id int, center_x double, center_y double, center_z double, length double, width double, height double, yaw double, valid boolean")
