@@ -389,6 +389,7 @@ def keep_clean(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD)
         reader = grammar.compiled()
         for batch in batches:
             features = np.array([reader.features(t.as_py()) for t in batch.column(at)]).reshape(len(batch), len(ARCS))
-            yield batch.filter(pa.array(grammar.score(features) < threshold))
+            yield batch.filter(pa.array(grammar.score(features) < threshold)).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    # columns are looked up by name on the way in, so names with dots and backticks stay outside
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, docs.schema)
