@@ -9,6 +9,7 @@ from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def release() -> None:
@@ -31,6 +32,16 @@ def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return whole
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the executors' virtual machines collect all garbage, which returns most of a heap that an earlier step grew to the system.
+
+    A heap grows while a step sorts and aggregates and stays that large, beside the Python workers of the steps after it. One task
+    for each core, so that executors that are idle all get some. Where explicit collections are switched off, nothing happens.
+    """
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 #: Rows of whole texts in one Arrow batch, on both sides of the pipe.
 TEXT_ROWS = 1_000
 
